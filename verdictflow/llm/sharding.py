@@ -85,12 +85,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: CRC-32 (reflected, polynomial 0xEDB88320) bit by bit: the table comes from its rule.
 SQL = f"""
 WITH RECURSIVE step AS (
-  SELECT i, 0 AS k, CAST(i AS UBIGINT) AS c FROM range(256) t(i)
-  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM step WHERE k < 8),
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM step WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-b AS (SELECT r, doc_id, strlen(text) + 1 AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS UBIGINT)) AS bytes FROM d),
-s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc.t[xor(a & 255, x) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM b, crc),
+b AS (SELECT r, doc_id, strlen(text) + 1 AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc.t[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS BIGINT) AS text_crc32 FROM b, crc),
 p AS (SELECT *, sum(size) OVER o - size AS pos, sum(size) OVER () AS total FROM s WINDOW o AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
 q AS (SELECT *, CAST((pos * {SHARDS}) // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, '{LAW}' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q"""
