@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Microtokens of a token.
+TOKEN = 1_000_000
+
 
 def admit(df: DataFrame, capacity: int, per_second: float = 0.0, refill: str = "none") -> DataFrame:
     """df with `admitted`.
 
-    none: the first `capacity` events of a tenant, no refill. continuous: a bucket of `capacity` whole
-    tokens in microtokens, refilled by elapsed time; a rejected event takes nothing, so the level is a
-    fold over the tenant's events; these go to Python as three columns and come back as a flag."""
+    none: the first `capacity` events of a tenant, no refill. continuous: a bucket of `capacity` tokens,
+    refilled by elapsed time; a rejected event takes nothing, so the level is a fold over the tenant's
+    events in order. Three columns are sorted by tenant and time and folded as they stream by, in constant
+    memory whatever a tenant's size."""
     if refill == "none":
         return df.withColumn("admitted", F.row_number().over(W.partitionBy("tenant_id").orderBy("timestamp", "event_id")) <= capacity)
-    rate, full = int(per_second), capacity * 1_000_000
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"], kind="stable")
-        level, last, out = full, None, np.zeros(len(rows), bool)
-        for i, us in enumerate(rows["us"].tolist()):
-            if last is not None and us > last:
-                level = min(full, level + (us - last) * rate)
-            last = us if last is None else max(last, us)
-            if level >= 1_000_000:
-                level -= 1_000_000
-                out[i] = True
-        return pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "tenant_id": rows["tenant_id"].to_numpy(), "admitted": out})
-
-    flags = df.select("tenant_id", "event_id", F.unix_micros("timestamp").alias("us")).groupBy("tenant_id").applyInPandas(fold, "event_id long, tenant_id string, admitted boolean")
-    return df.join(flags, ["tenant_id", "event_id"])
+    rate, full = int(per_second), capacity * TOKEN
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant, level, last = None, full, None
+        for b in batches:
+            out = []
+            for t, us in zip(b.column("tenant_id").to_pylist(), b.column("us").to_pylist()):
+                if t != tenant:
+                    tenant, level, last = t, full, us
+                elif us > last:
+                    level, last = min(full, level + (us - last) * rate), us
+                out.append(level >= TOKEN)
+                if out[-1]:
+                    level -= TOKEN
+            yield pa.RecordBatch.from_arrays([b.column("tenant_id"), b.column("event_id"), pa.array(out, pa.bool_())], names=["tenant_id", "event_id", "admitted"])
+
+    thin = df.select("tenant_id", "event_id", F.coalesce(F.unix_micros("timestamp"), F.lit(0)).alias("us"))
+    flags = thin.repartition("tenant_id").sortWithinPartitions("tenant_id", "us", "event_id").mapInArrow(fold, "tenant_id string, event_id long, admitted boolean")
+    return df.join(flags.withColumnsRenamed({"tenant_id": "_t", "event_id": "_i"}), F.col("tenant_id").eqNullSafe(F.col("_t")) & (F.col("event_id") == F.col("_i"))).drop("_t", "_i")
 
 
 def concurrency_at(intervals: DataFrame) -> DataFrame:
