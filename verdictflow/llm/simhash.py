@@ -185,8 +185,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each component, that of the least id; same columns."""
     held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
     known = _resolved(materialize(_row_prints(held, id_col, text_col), "fingerprints"))
-    # of rows with the same id the first one stays
-    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    # of rows with the same id the first one stays; written, so that the join below may split a large
+    # component's rows, which it could not behind the aggregate's own exchange
+    best = materialize(known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first")
     gone = known.join(best, "root").filter("row != first.row").select("row")
     return held.join(gone, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
