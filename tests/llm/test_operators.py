@@ -384,10 +384,20 @@ def test_passages(spark, none, docs):
     assert passages.passages(docs).count() > 0
 
 
-def test_passages_meet_again_without_the_least():
-    """A piece that does not match the least one of its signature is compared with the others."""
+def test_compare():
     a, b = ["x"] * 60, [f"w{i}" for i in range(60)]
-    assert passages.compare(b, b)[:2] == (0, 60) and passages.compare(a[:40], b) is None and passages.compare(b, list(reversed(b))) is None
+    assert passages.compare(b, b) == [(0, 60, 0, 60, 1.0)] and passages.compare(a[:40], b) == [] == passages.compare(b, list(reversed(b)))
+    two = b + [f"gap{i}" for i in range(90)] + [f"v{i}" for i in range(55)]
+    other = b + [f"hole{i}" for i in range(90)] + two[150:]
+    assert [x[:2] for x in passages.compare(two, other)] == [(0, 60), (150, 205)]
+
+
+def test_passages_meet_again_without_the_least(spark):
+    """Pieces that fail with the least one of their signature are compared with the others."""
+    names = "key long, row long, first int, last int, anchor int, brow long, bfirst int, blast int, banchor int"
+    rows = [(k, r, f, f + 45, f, None, None, None, None) for k, r, f in ((1, 5, 0), (1, 7, 3), (1, 2, 9), (2, 8, 0), (3, 4, 0), (3, 6, 1))] + [(1, 9, 0, 45, 0, 7, 3, 48, 3)]
+    got = {(r["key"], r["row"], r["brow"]) for r in passages._met(spark.createDataFrame(rows, names)).collect()}
+    assert got == {(1, 5, 2), (1, 7, 2), (3, 6, 4), (1, 9, 7)}
 
 
 # 9 -----------------------------------------------------------------------------------------------
