@@ -21,9 +21,11 @@ from .plans.registry import DecisionTypes
 from .schema import BLOCK, FLAG, PASS
 from .sinks.formats import audit_lines, decision_json, decisions_from_json, stdout_lines
 from .sinks.targets import Noop
-from .sources.events import events_from_table, orders_as_events, with_event_ids
-from .sources.state import apply_changes, expire, merge_latest, range_sum
+from .session import scratch_dir
+from .sources.events import as_events, events_from_table, orders_as_events, with_event_ids
+from .sources.state import Snapshot, apply_changes, expire, merge_latest, range_sum
 from .streaming.reports import session_counts, sliding_counts, tumbling_counts
+from .streaming.stateful import running_counts
 
 DAY = 86_400_000
 AS_OF = "2024-01-31 00:00:00"
@@ -562,5 +564,30 @@ def epochs(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", epoch_of(F.col("timestamp"), 60_000).alias("minute"), epoch_of(F.col("timestamp"), 0).alias("none"))
 
 
+# streams and stored state ----------------------------------------------------------------------------
+@register("stream_threshold", _running("count(*)", "entity_id", 3))
+def stream_threshold(spark, sf_dir):
+    """The running counter as a stateful stream over the same files, drained into Parquet."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    out = scratch_dir(spark, "stream")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    counts = running_counts(as_events(source), DAY)
+    query = counts.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    over = F.col("window_count") > 3
+    return spark.read.parquet(f"{out}/rows").select("event_id", F.when(over, "flag").otherwise("pass").alias("verdict"), F.when(over, "threshold_exceeded").alias("reason"))
+
+
+@register("archive_roundtrip", f"WITH {EV}, {WS} SELECT tenant_id, epoch < 19740 AS archived, sum(aggregate) AS total, count(*) AS windows FROM ws GROUP BY ALL")
+def archive_roundtrip(spark, sf_dir):
+    """Window state written to the warm tier, old epochs moved to the cold one, both read back."""
+    s = Snapshot(spark, scratch_dir(spark, "state"))
+    s.upsert(window_totals(spark, sf_dir))
+    s.archive(19740)
+    both = s.warm().withColumn("archived", F.lit(False)).unionByName(s.cold().withColumn("archived", F.lit(True)))
+    return both.groupBy("tenant_id", "archived").agg(F.sum("aggregate").alias("total"), F.count(F.lit(1)).alias("windows"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_fraud(spark, sf_dir)

@@ -21,3 +21,25 @@ def session(app: str = "verdictflow", master: str | None = None, shuffle_partiti
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, a local one where unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="verdictflow-")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def init_logging(path: str, level: str = "INFO", max_bytes: int = 100 * 2**20, backups: int = 5):
+    """The driver's diagnostic log, rotated by size."""
+    import logging
+    from logging.handlers import RotatingFileHandler
+
+    handler = RotatingFileHandler(path, maxBytes=max_bytes, backupCount=backups)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+    log = logging.getLogger("verdictflow")
+    log.setLevel(level)
+    log.addHandler(handler)
+    return log

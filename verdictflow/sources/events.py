@@ -24,13 +24,16 @@ def table_events(df: DataFrame, event_id: Column, tenant: Column, entity: Column
     )
 
 
-def events_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The `events` table: ten tenants, a user an entity, tags k and value."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+def as_events(df: DataFrame) -> DataFrame:
+    """Rows of the `events` table, batch or stream: ten tenants, a user an entity, tags k and value."""
     user = F.col("user_id")
     return table_events(df, F.col("event_id"), F.concat(F.lit("tenant-"), (user % 10).cast("string")), F.concat(F.lit("user-"), user.cast("string")), F.col("event_type"), F.col("ts"), tags_of(k=F.get_json_object("props", "$.k"), value=F.col("value")))
 
 
+def events_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def orders_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders: a market segment a tenant, a customer an entity, the priority as type."""
     orders, customer = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")

@@ -1,7 +1,8 @@
 """Per-event stateful operators on streams: window counters and token buckets.
 
-State is keyed by what the batch operators partition by, kept by Spark's checkpoints (a restart goes on
-counting), and leaves by a processing-time timeout. Events of a micro-batch are taken per key in the
+State is keyed by what the batch operators partition by and kept by Spark's checkpoints (a restart goes on
+counting). With a time to live it leaves by a processing-time timeout; such a query looks for timeouts for
+ever, so one that is to drain (availableNow) has none. Events of a micro-batch are taken per key in the
 order of (timestamp, event_id)."""
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..functions import epoch_of
 from ..operators.evaluators import group_key
 
 
-def running_counts(events: DataFrame, window_ms: int, group_by: str = "entity", tag: str = "", ttl_ms: int = 86_400_000) -> DataFrame:
+def running_counts(events: DataFrame, window_ms: int, group_by: str = "entity", tag: str = "", ttl_ms: int | None = None) -> DataFrame:
     """tenant_id, key, epoch, event_id, timestamp, window_count: one row an event."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,11 +29,12 @@ def running_counts(events: DataFrame, window_ms: int, group_by: str = "entity",
         rows = pd.concat(list(chunks)).sort_values(["timestamp", "event_id"], kind="stable")
         n = state.get[0] if state.exists else 0
         state.update((n + len(rows),))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"tenant_id": key[0], "key": key[1], "epoch": key[2], "event_id": rows["event_id"].to_numpy(), "timestamp": rows["timestamp"].to_numpy(), "window_count": range(n + 1, n + len(rows) + 1)})
 
     keyed = events.select("tenant_id", group_key(group_by, tag).alias("key"), epoch_of(F.col("timestamp"), window_ms).alias("epoch"), "event_id", "timestamp")
-    return keyed.groupBy("tenant_id", "key", "epoch").applyInPandasWithState(step, "tenant_id string, key string, epoch long, event_id long, timestamp timestamp, window_count long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("tenant_id", "key", "epoch").applyInPandasWithState(step, "tenant_id string, key string, epoch long, event_id long, timestamp timestamp, window_count long", "n long", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def token_buckets(events: DataFrame, capacity: int, per_second: int = 0) -> DataFrame:
