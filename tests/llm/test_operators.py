@@ -384,6 +384,22 @@ def test_passages(spark, none, docs):
     assert passages.passages(docs).count() > 0
 
 
+def test_passages_with_one_edit_are_found(spark):
+    """Passages of 50 to 80 words with one word changed, against brute force over all pairs."""
+    rng = random.Random(81)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for i in range(120):
+        one = fresh(50 + i % 31)
+        two = list(one)
+        two[len(two) // 2] = "altered"
+        texts += [fresh(30) + one + fresh(40), fresh(25) + two + fresh(20)]
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if passages.compare(texts[i], texts[j])}
+    got = passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    linked = {frozenset((r["doc_id"], r["partner_id"])) for r in got}
+    assert len(want) >= 115 and linked <= want and len(linked) >= 0.95 * len(want), (len(linked), len(want))
+
+
 def test_compare():
     a, b = ["x"] * 60, [f"w{i}" for i in range(60)]
     assert passages.compare(b, b) == [(0, 60, 0, 60, 1.0)] and passages.compare(a[:40], b) == [] == passages.compare(b, list(reversed(b)))
