@@ -400,6 +400,24 @@ def test_passages_with_one_edit_are_found(spark):
     assert len(want) >= 115 and linked <= want and len(linked) >= 0.95 * len(want), (len(linked), len(want))
 
 
+def test_failed_pieces_are_compared_exactly(spark):
+    """A frequent line gives unlike texts the same minima; edited passages that hold it are found all the same."""
+    rng = random.Random(83)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, texts = fresh(30), [None] * 40
+    for i in range(40):
+        texts[i] = fresh(40) + line + fresh(40)
+    for i in range(60):
+        one = fresh(12) + line + fresh(13)
+        two = list(one)
+        two[-7] = "altered"
+        texts += [fresh(30) + one + fresh(40), fresh(25) + two + fresh(20)]
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if passages.compare(texts[i], texts[j])}
+    got = passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    linked = {frozenset((r["doc_id"], r["partner_id"])) for r in got}
+    assert len(want) == 60 and linked <= want and len(linked) >= 59, (len(linked), len(want))
+
+
 def test_compare():
     a, b = ["x"] * 60, [f"w{i}" for i in range(60)]
     assert passages.compare(b, b) == [(0, 60, 0, 60, 1.0)] and passages.compare(a[:40], b) == [] == passages.compare(b, list(reversed(b)))
