@@ -418,6 +418,24 @@ def test_failed_pieces_are_compared_exactly(spark):
     assert len(want) == 60 and linked <= want and len(linked) >= 59, (len(linked), len(want))
 
 
+def test_failed_pieces_meet_settled_ones(spark):
+    """Chains of edits: R is like P and P like Q, but Q not like R, the least of their signature."""
+    rng = random.Random(82)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    chains = []
+    for _ in range(60):
+        p = fresh(50)
+        r, q = list(p), list(p)
+        r[16], q[33] = "one", "two"
+        chains.append([fresh(20) + x + fresh(20) for x in (r, p, q)])
+    n, texts = len(chains), [c[i] for i in range(3) for c in chains]
+    assert all(passages.compare(c[0], c[1]) and passages.compare(c[1], c[2]) and not passages.compare(c[0], c[2]) for c in chains)
+    got = passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    linked = {frozenset((x["doc_id"], x["partner_id"])) for x in got}
+    found = sum(frozenset((n + i, 2 * n + i)) in linked for i in range(n))
+    assert found >= 58, found
+
+
 def test_compare():
     a, b = ["x"] * 60, [f"w{i}" for i in range(60)]
     assert passages.compare(b, b) == [(0, 60, 0, 60, 1.0)] and passages.compare(a[:40], b) == [] == passages.compare(b, list(reversed(b)))
