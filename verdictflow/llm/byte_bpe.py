@@ -1,65 +1,81 @@
-"""Token ids of the byte-level BPE, as little-endian 32-bit bytes, with a bounded cache of pieces.
+"""Token ids of the byte-level BPE, as little-endian 32-bit bytes.
 
-Text is split as the tokenizer's pre-tokenizer splits it; each distinct piece is encoded once by the
-tokenizers library and then looked up. Pieces are encoded independently of one another by BPE, so the
-ids are the library's own for the whole text.
+Where a tokenizer file's merges come in the order of their ids, merging by rank gives the ids that its
+merge list gives, so its vocabulary is handed to tiktoken as ranks, which needs neither alignments nor
+a cache. Texts that hold a special token's string, and files of another kind, go to the tokenizers
+library, which a worker loads when it meets the first one.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import json
 import struct
 
-from .splits import RARE, plain
+import numpy as np
 
 #: Appended to every document.
 END_ID = 2
 END = struct.pack("<I", END_ID)
-#: Distinct pieces that a worker remembers; the cache starts anew beyond them. Longer ones aren't kept.
-CACHE_PIECES, CACHE_CHARS = 600_000, 64
 
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[LETTERS]+| ?[NUMBERS]+| ?[^\sLETTERSNUMBERS]+|\s+(?!\S)|\s+"
+#: The byte-level pre-tokenizer's pattern; runs are possessive, which changes no match.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-class _Pieces(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters
+    are themselves, the others follow from 256 on in their order."""
+    own = {chr(b): b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    rest = [b for b in range(256) if chr(b) not in own]
+    return own | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(piece)
-        value = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHE_CHARS:
-            self[piece] = value
-        return value
+
+def ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks; None where the file is not a plain byte-level BPE in merge order."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+    byte = _bytes_of()
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(c not in vocab for c in byte) or merged != sorted(set(merged)) or len(merged) + 256 != len(vocab) or merged[0] < 0:
+        return None
+    return {bytes(byte[c] for c in w): i for w, i in vocab.items()}
 
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
-        self.ascii, self.split = plain(SPLIT, True), plain(SPLIT, False)
-        self.cache = _Pieces(self._whole)
+        self.path = path
+        own = ranks(path)
+        self.split = None if own is None else tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=own, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
 
-    def _whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
 
     def __call__(self, text: str) -> bytes:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if self.special.search(text) or RARE.search(text):
-            ids = self._whole(text)
-            return struct.pack(f"<{len(ids)}I", *ids)
-        split = self.ascii if text.isascii() else self.split
-        return b"".join(map(self.cache.__getitem__, split(text)))
+        if self.split is None or any(s in text for s in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.split.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """One a worker process, so the cache outlives a task."""
+    """One a worker process."""
     return Encoder(path)
