@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,13 @@ def worker_path(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; own one where unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. In local mode an own one where
+    unset; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="verdictflow-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -50,13 +55,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     worker_path(spark)
     path = f"{shared_dir(spark)}/verdictflow-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
+    _remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str, bytes_each: int = 4 << 20) -> DataFrame:
+    """materialize() in buckets of key, which a later join on key needn't shuffle. The number of buckets follows
+    the plan's estimate of df's size. A task that holds one value of key writes one file."""
+    spark = df.sparkSession
+    worker_path(spark)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(65_536, max(8, -(-size // bytes_each)))
+    name = f"verdictflow_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/verdictflow-{uuid.uuid4().hex}/{label}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    _remember(spark, path)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove_written() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the JVM may already be gone; its catalog then too
+            break
     for spark, path in _written:
         try:
             jvm = spark.sparkContext._jvm

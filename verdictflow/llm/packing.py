@@ -6,7 +6,8 @@ capacity rows, and the driver solves that. Where a small set of sizes with the l
 dominates every other feasible set (Martello and Toth), its bins are fixed; what is left is packed
 best-fit decreasing. Both steps work on counts, a step uses up a size or a kind of bin, so a plan has
 at most a few thousand kinds of bins. Pieces then find their bin by their rank among pieces of
-their size: rank within the partition plus the partitions before it.
+their size: rank within the partition plus the partitions before it. The pieces are written in buckets
+of their partition, so the join that adds these shuffles a row per partition and no piece.
 
 Defined results: a null or empty text is its end token alone; only longer documents are cut, from the
 end backwards, so the first piece takes the rest; repeated rows and ids are packed row by row; extra
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .byte_bpe import END, encoder
-from .common import materialize, table, texts_of, worker_path
+from .common import bucketed, materialize, table, texts_of, worker_path
 
 CAPACITY = 1024
 
@@ -260,14 +261,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset; the ids as little-endian binary if asked for."""
     spark = docs.sparkSession
-    held = materialize(pieces(docs, path, capacity, id_col, text_col, keep_ids), "pieces")
+    # in buckets of the partition: the ids stay where they are written, and only the bases below are shuffled
+    held = bucketed(pieces(docs, path, capacity, id_col, text_col, keep_ids), "pieces", "part")
     # a row for each partition and size, whatever the number of documents
     by_part = materialize(held.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     places = spark.sparkContext.broadcast(Places.of(plan(counts, capacity)))  # bounded by the capacity squared, see the module's docstring
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = held.join(bases, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("base")).drop("part", "nth", "base")
+    # one row a partition, its bases by size: joined on the partition alone
+    bases = bases.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("base"))
+    bases = bases.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda s: F.col("base")[s.cast("long")]).alias("base"))
+    ranked = held.join(bases.hint("shuffle_hash"), "part").withColumn("rank", F.col("nth") + F.get("base", F.col("length").cast("int"))).drop("part", "nth", "base")
     schema = ", ".join(f"{n} {t}" for n, t in ranked.dtypes if n != "rank") + ", sequence_id long, offset long"
     order = [n for n, _ in ranked.dtypes if n != "rank"]
 
