@@ -360,9 +360,30 @@ def tree_windows(h, span):
 @given(st.lists(st.integers(0, 2**63), min_size=1, max_size=60, unique=True), st.integers(2, 9))
 def test_compact_windows_are_the_cartesian_tree(values, span):
     h = np.array(values, np.uint64)
-    tree = passages.compact_windows(h, span)
-    assert sorted(tree) == tree_windows(h, span)
-    assert sorted(passages.runs(h, span)) == sorted((max(a, c - span + 1), min(c, b - span + 1)) for a, c, b in tree)
+    half = len(h) // 2
+    first, place, last = passages.compact_windows(h, np.array([0, half]), np.array([half, len(h)]), span)
+    tree = tree_windows(h[:half], span) + [tuple(x + half for x in w) for w in tree_windows(h[half:], span)]
+    assert sorted(zip(first.tolist(), place.tolist(), last.tolist())) == sorted(tree)
+
+
+def test_pieces_tile_the_starts_and_share_minima():
+    """Every start is in one piece of each band, and a piece's starts have the same minima."""
+    rng = np.random.default_rng(4)
+    for words in (rng.integers(0, 2**62, 400), rng.integers(0, 3, 300), np.full(200, 5), rng.integers(0, 2**62, passages.WORDS - 1)):
+        flat = passages.shingles(words.astype(np.uint64))
+        p = passages.pieces(flat, np.array([0]), np.array([len(flat)]))
+        low = {}
+        for band in range(passages.BANDS):
+            for row in range(passages.ROWS):
+                h = passages.mix(flat, 100 + 1000 * band + row)
+                low[band, row] = [int(h[i : i + passages.SPAN].min()) for i in range(len(flat) - passages.SPAN + 1)]
+        seen = defaultdict(list)
+        for key, first, last in zip(p["key"].tolist(), p["first"].tolist(), p["last"].tolist()):
+            seen[key].append((first, last - passages.SPAN + 1))
+        minima = {tuple(low[b, r][i] for r in range(passages.ROWS)) for b in range(passages.BANDS) for i in range(len(flat) - passages.SPAN + 1)}
+        assert len(seen) == len(minima)
+        if len(set(words.tolist())) > 100:
+            assert sorted(i for x in seen.values() for a, b in x for i in range(a, b + 1)) == sorted(list(range(len(low[0, 0]))) * passages.BANDS)
 
 
 def test_passages(spark, none, docs):
@@ -378,7 +399,7 @@ def test_passages(spark, none, docs):
     assert {0, 1, 11} == {i for x in linked if x & {0, 1, 11} for i in x} and frozenset((3, 4)) in linked and frozenset((9, 10)) in linked
     assert not {2, 5, 6, 7, 8} & {i for x in linked for i in x}
     one = next(r for r in got if {r["doc_id"], r["partner_id"]} == {0, 1})
-    words = {r: passages.ascii_lower and low(texts[r]).split() for r in (0, 1)}
+    words = {r: low(texts[r]).split() for r in (0, 1)}
     assert words[one["doc_id"]][one["start"] : one["end"]] == words[one["partner_id"]][one["partner_start"] : one["partner_end"]] == low(shared).split()
     assert passages.passages(none.select("doc_id", "text")).count() == 0
     assert passages.passages(docs).count() > 0
@@ -400,8 +421,11 @@ def test_passages_with_one_edit_are_found(spark):
     assert len(want) >= 115 and linked <= want and len(linked) >= 0.95 * len(want), (len(linked), len(want))
 
 
-def test_failed_pieces_are_compared_exactly(spark):
-    """A frequent line gives unlike texts the same minima; edited passages that hold it are found all the same."""
+@pytest.mark.parametrize("group", [passages.GROUP, 2])
+def test_failed_pieces_are_compared_exactly(spark, monkeypatch, group):
+    """A frequent line gives unlike texts the same minima; edited passages that hold it are found all the same,
+    by walking a signature and by prefix filtering."""
+    monkeypatch.setattr(passages, "GROUP", group)
     rng = random.Random(83)
     fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
     line, texts = fresh(30), [None] * 40
@@ -418,8 +442,10 @@ def test_failed_pieces_are_compared_exactly(spark):
     assert len(want) == 60 and linked <= want and len(linked) >= 59, (len(linked), len(want))
 
 
-def test_failed_pieces_meet_settled_ones(spark):
+@pytest.mark.parametrize("group", [passages.GROUP, 2])
+def test_failed_pieces_meet_settled_ones(spark, monkeypatch, group):
     """Chains of edits: R is like P and P like Q, but Q not like R, the least of their signature."""
+    monkeypatch.setattr(passages, "GROUP", group)
     rng = random.Random(82)
     fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
     chains = []
@@ -444,14 +470,51 @@ def test_compare():
     assert [x[:2] for x in passages.compare(two, other)] == [(0, 60), (150, 205)]
 
 
-def test_passages_meet_again_without_the_least(spark):
-    """Pieces that fail with the least one of their signature are compared with the others."""
-    names = "key long, row long, first int, last int, anchor int, brow long, bfirst int, blast int, banchor int"
-    rows = [(k, r, f, f + 45, f, None, None, None, None) for k, r, f in ((1, 5, 0), (1, 7, 3), (1, 2, 9), (2, 8, 0), (3, 4, 0), (3, 6, 1))] + [(1, 9, 0, 45, 0, 7, 3, 48, 3)]
+def test_pieces_meet_the_least_of_their_signature(spark):
+    names = "key long, row long, packed long, brow long, bpacked long"
+    rows = [(k, r, f << 14 | 45 << 7, None, None) for k, r, f in ((1, 5, 0), (1, 7, 3), (1, 2, 9), (2, 8, 0), (3, 4, 0), (3, 6, 1))] + [(1, 9, 45 << 7, 7, 3 << 14 | 45 << 7)]
     got = {(r["key"], r["row"], r["brow"]) for r in passages._met(spark.createDataFrame(rows, names)).collect()}
     assert got == {(1, 5, 2), (1, 7, 2), (3, 6, 4), (1, 9, 7)}
 
 
+def test_walk_connects_what_pairs_connect():
+    """Families of edited passages, chains and passages of their own, against all pairs."""
+    rng = np.random.default_rng(6)
+    for _ in range(12):
+        vectors = []
+        for _ in range(int(rng.integers(1, 5))):
+            base = rng.integers(0, 2**32, 70).astype(np.uint32)
+            for _ in range(int(rng.integers(1, 9))):
+                v = base.copy()
+                for at in rng.integers(0, 66, int(rng.integers(0, 3))).tolist():
+                    v[at : at + 5] = rng.integers(0, 2**32, 5)
+                vectors.append(v[int(rng.integers(0, 12)) : 70 - int(rng.integers(0, 12))])
+        n = len(vectors)
+
+        def like(a, b):
+            hit = np.isin(vectors[a], vectors[b])
+            return any(hit[i : i + passages.SPAN].sum() >= passages.NEED for i in range(len(hit) - passages.SPAN + 1))
+
+        def roots(edges):
+            up = list(range(n))
+
+            def root(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for a, b in edges:
+                up[root(a)] = root(b)
+            return [root(i) for i in range(n)]
+
+        joined = [next((j for j in range(i) if like(i, j)), -1) if rng.random() < 0.4 else -1 for i in range(n)]
+        got = passages.walk(vectors, joined)
+        assert all(like(a, b) for a, b in got)
+        every = roots([(a, b) for a in range(n) for b in range(n) if a != b and like(a, b) and like(b, a)])
+        own = roots(got + [(i, j) for i, j in enumerate(joined) if j >= 0])
+        assert all(own[a] == own[b] for a in range(n) for b in range(n) if every[a] == every[b])
+
+
 # 9 -----------------------------------------------------------------------------------------------
 def test_licenses(spark, docs, none, rows):
     texts = ["Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3. All rights\nreserved; ALL RIGHTS RESERVED all rights reserved", "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\ncode", None, "", "İ ÀLL rights reserved", "spdx license identifier: MIT", "the MIT License"]
