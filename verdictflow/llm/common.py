@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -54,7 +55,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     worker_path(spark)
     path = f"{shared_dir(spark)}/verdictflow-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,15 +67,30 @@ def bucketed(df: DataFrame, label: str, key: str, bytes_each: int = 4 << 20) ->
     spark = df.sparkSession
     worker_path(spark)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 55:  # not known
+        size = bytes_each * int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(65_536, max(8, -(-size // bytes_each)))
     name = f"verdictflow_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/verdictflow-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     _remember(spark, path)
     _tables.append((spark, name))
     return spark.table(name)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _remember(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(_remove_written)
