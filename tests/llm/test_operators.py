@@ -370,12 +370,12 @@ def test_pieces_tile_the_starts_and_share_minima():
     """Every start is in one piece of each band, and a piece's starts have the same minima."""
     rng = np.random.default_rng(4)
     for words in (rng.integers(0, 2**62, 400), rng.integers(0, 3, 300), np.full(200, 5), rng.integers(0, 2**62, passages.WORDS - 1)):
-        flat = passages.shingles(words.astype(np.uint64))
+        flat = passages.shingles(words.astype(np.uint32))
         p = passages.pieces(flat, np.array([0]), np.array([len(flat)]))
         low = {}
         for band in range(passages.BANDS):
             for row in range(passages.ROWS):
-                h = passages.mix(flat, 100 + 1000 * band + row)
+                h = passages.permuted(flat, 100 + 1000 * band + row)
                 low[band, row] = [int(h[i : i + passages.SPAN].min()) for i in range(len(flat) - passages.SPAN + 1)]
         seen = defaultdict(list)
         for key, first, last in zip(p["key"].tolist(), p["first"].tolist(), p["last"].tolist()):
