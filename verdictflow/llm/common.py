@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Repository root, put on the Python path of the workers when the driver was started elsewhere.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Bytes of an Arrow batch, where the session doesn't say: a batch is otherwise 10,000 texts of any length.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
@@ -28,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_path(spark: SparkSession) -> None:
-    """Let Python workers import this package even if only the driver's sys.path has it."""
+    """Let Python workers import this package even if only the driver's sys.path has it, and get whole texts in
+    batches of bounded size."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
