@@ -69,13 +69,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def bucketed(df: DataFrame, label: str, key: str, bytes_each: int = 4 << 20) -> DataFrame:
     """materialize() in buckets of key, which a later join on key needn't shuffle. The number of buckets follows
-    the plan's estimate of df's size. A task that holds one value of key writes one file."""
+    the plan's estimate of df's size, but Spark would shuffle fewer than it has shuffle partitions all the same. A task
+    that holds one value of key writes one file."""
     spark = df.sparkSession
     worker_path(spark)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 55:  # not known
-        size = bytes_each * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(65_536, max(8, -(-size // bytes_each)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < 1 << 55:  # more is not known
+        n = max(n, min(65_536, -(-size // bytes_each)))
     name = f"verdictflow_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/verdictflow-{uuid.uuid4().hex}/{label}"
     with _shuffles_removed(spark):
