@@ -226,11 +226,18 @@ for _rule, _sql in (
     ("any_flag", "greatest(a, b, c)"),
     ("unanimous", "CASE WHEN least(a, b, c) = 2 THEN 2 ELSE 0 END"),
     ("majority", "CASE WHEN 2 * ((a = 2)::INT + (b = 2)::INT + (c = 2)::INT) > 3 THEN 2 ELSE 0 END"),
-    ("weighted_score", "0"),
 ):
     register(f"compose_{_rule}", f"WITH {EV}, {VOTES} SELECT event_id, {NAME.format(_sql)} AS verdict FROM v")(lambda s, d, r=_rule: short(decide(config().with_evaluators(*_votes(), composition=r), events(s, d))))
 
 
+@register("compose_weighted_score", f"WITH {EV}, {VOTES} SELECT event_id, CASE WHEN CAST(CAST(a AS REAL) / 2 + CAST(b AS REAL) / 2 AS REAL) / 2 > 0.5 THEN 'flag' ELSE 'pass' END AS verdict FROM v")
+def compose_weighted_score(spark, sf_dir):
+    """The mean of two scores, whatever the scorers' own verdicts; a third has none."""
+    i = F.col("event_id")
+    votes = [Scorer(n, ((F.floor(i / 3**p).cast("int") % 3) / 2).cast("float") if n < "c" else F.lit(None).cast("float"), flag_above=0.1) for p, n in enumerate("abc")]
+    return short(decide(config().with_inference(*votes, composition="weighted_score", score_threshold=0.5), events(spark, sf_dir)))
+
+
 def _scorers() -> list:
     value = number_of(first_tag(F.col("tags"), "value"))
     return [Scorer("model_a", (value / 500).cast("float")), Scorer("model_b", F.when(F.col("event_id") % 4 != 0, ((F.col("event_id") % 100) / 100).cast("float"))), Scorer("model_c", F.lit(None).cast("float"))]
@@ -293,7 +300,7 @@ RULES: dict[str, tuple[R.Rule, str]] = {
     "tag_equals": (R.TagEquals("k", "7"), "k = '7'"),
     "and": (R.TagEquals("k", "7") & R.EventTypeIs("click"), "k = '7' AND event_type = 'click'"),
     "or": (R.TagEquals("k", "7") | R.EventTypeIs("click"), "k = '7' OR event_type = 'click'"),
-    "not": (~R.TagEquals("missing", "7"), "true"),
+    "not": (~R.TagEquals("k", "7"), "k IS DISTINCT FROM '7'"),
     "tag_contains": (R.TagContains("value", "9"), "contains(v, '9')"),
     "tag_starts_with": (R.TagStartsWith("value", "3"), "starts_with(v, '3')"),
     "tag_in": (R.TagIn("k", ("1", "2", "30")), "k IN ('1', '2', '30')"),
@@ -333,40 +340,39 @@ def policy_first_match(spark, sf_dir):
     return short(d, _ids(d))
 
 
-def fraud_types() -> DecisionTypes:
-    t = DecisionTypes().add("block", "Block transaction", 0).add("review", "Queue for review", 10).add("notify", "Alert security", 20).add("pass", "Explicit approval", 100)
-    return t.exclude("pass", "block").exclude("pass", "review")
+def fleet_types() -> DecisionTypes:
+    """What may be done about a device; a pulled one is not sampled, and one with a ticket is not muted."""
+    t = DecisionTypes().add("pull", "take the device off the network", 3).add("ticket", "open a repair ticket", 12).add("sample", "keep its readings", 15).add("mute", "hide it from dashboards", 30)
+    return t.exclude("pull", "sample").exclude("mute", "ticket")
 
 
-def fraud_config() -> PipelineConfig:
-    """High velocity is flagged, a high-risk country blocked; known-good entities ask for a pass, which
-    loses to block and review."""
-    t = F.col("tags")
-    velocity = ColumnEvaluator("velocity", F.when(number_of(first_tag(t, "tx_count_1h")) > 20, FLAG).otherwise(PASS), "velocity_exceeded")
-    country = ColumnEvaluator("country_risk", F.when(event_tag(t, "country") == "XX", BLOCK).otherwise(PASS), "high_risk_country")
-    high, low = R.StageVerdictIs("eval", BLOCK), R.StageVerdictIs("eval", FLAG)
-    p = Policy().add(high, 1, BLOCK, "block_country_risk", "block").add(high, 1, FLAG, "review_country_risk", "review").add(high, 1, FLAG, "notify_country_risk", "notify")
-    p.add(low, 2, FLAG, "review_velocity", "review").add(low, 2, FLAG, "notify_velocity", "notify").add(R.TagEquals("entity_class", "known_good"), 3, PASS, "pass_known_good", "pass")
-    return config("fraud").with_evaluators(velocity, country).with_policy(p).with_decision_types(fraud_types())
+def fleet_config() -> PipelineConfig:
+    """Readings of a fleet of devices: hot ones are flagged, those with recalled firmware blocked."""
+    hot = ColumnEvaluator("heat", F.when(number_of(first_tag(F.col("tags"), "celsius")) > 150, FLAG).otherwise(PASS), "overheated")
+    recalled = ColumnEvaluator("firmware", F.when(number_of(event_tag(F.col("tags"), "build")) >= 90, BLOCK).otherwise(PASS), "recalled_build")
+    p = Policy().add(R.StageVerdictIs("eval", BLOCK) & ~R.TagEquals("ring", "lab"), 2, BLOCK, "pull_recalled", "pull")
+    p.add(R.TagValueGreaterThan("celsius", 150), 4, FLAG, "repair_hot", "ticket").add(R.TagIn("ring", ("lab", "canary")), 4, FLAG, "watch_early_ring", "sample").add(R.EventTypeIs("view"), 9, PASS, "mute_views", "mute")
+    return config("fleet").with_evaluators(hot, recalled).with_policy(p).with_decision_types(fleet_types())
 
 
-def fraud_events(spark, sf_dir) -> DataFrame:
-    """Events with the tags of the fraud scenario, derived from what they have."""
+def fleet_events(spark, sf_dir) -> DataFrame:
+    """Events as readings: the value a temperature, k a firmware build, every seventh user in the lab ring."""
     df = events(spark, sf_dir)
-    v, k = number_of(first_tag(F.col("tags"), "value")), first_tag(F.col("tags"), "k").cast("int")
     tag = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
-    return df.withColumn("tags", F.array(tag("tx_count_1h", F.floor(v / 4)), tag("country", F.when(k < 10, "XX").otherwise("US")), tag("entity_class", F.when(k % 3 == 0, "known_good").otherwise("new"))))
+    user = F.substring("entity_id", 6, 20).cast("long")
+    ring = F.when(user % 7 == 0, "lab").when(user % 7 == 1, "canary").otherwise("field")
+    return df.withColumn("tags", F.array(tag("celsius", first_tag(F.col("tags"), "value")), tag("build", first_tag(F.col("tags"), "k")), tag("ring", ring)))
 
 
-FRAUD = f"""WITH {EV}, f AS (SELECT event_id, floor(value / 4) > 20 AS fast, CAST(k AS INTEGER) < 10 AS risky, CAST(k AS INTEGER) % 3 = 0 AS good FROM e)
-SELECT event_id, CASE WHEN risky THEN 'block' WHEN fast THEN 'flag' ELSE 'pass' END AS verdict,
-  CASE WHEN risky THEN 'block_country_risk,review_country_risk,notify_country_risk' WHEN fast THEN 'review_velocity,notify_velocity' WHEN good THEN 'pass_known_good' ELSE '' END AS rules,
-  CASE WHEN risky THEN 'block:block_country_risk,review:review_country_risk,notify:notify_country_risk' WHEN fast THEN 'review:review_velocity,notify:notify_velocity' WHEN good THEN 'pass:pass_known_good' ELSE '' END AS active FROM f"""
+_FLEET = [("recalled AND ring <> 'lab'", "pull", "pull_recalled"), ("hot", "ticket", "repair_hot"), ("ring <> 'field' AND NOT (recalled AND ring <> 'lab')", "sample", "watch_early_ring"), ("event_type = 'view' AND NOT hot", "mute", "mute_views")]
+_listed = lambda pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in pairs) + "], lambda x: x IS NOT NULL), ',')"
+FLEET = f"""WITH {EV}, f AS (SELECT event_id, event_type, CAST(v AS DOUBLE) > 150 AS hot, CAST(k AS INTEGER) >= 90 AS recalled, CASE user_id % 7 WHEN 0 THEN 'lab' WHEN 1 THEN 'canary' ELSE 'field' END AS ring FROM e)
+SELECT event_id, CASE WHEN recalled THEN 'block' WHEN hot OR ring <> 'field' THEN 'flag' ELSE 'pass' END AS verdict, {_listed([(c, r) for c, _, r in _FLEET])} AS rules, {_listed([(c, f"{t}:{r}") for c, t, r in _FLEET])} AS active FROM f"""
 
 
-@register("flagship_fraud", FRAUD)
-def flagship_fraud(spark, sf_dir):
-    d = decide(fraud_config(), fraud_events(spark, sf_dir))
+@register("flagship_fleet", FLEET)
+def flagship_fleet(spark, sf_dir):
+    d = decide(fleet_config(), fleet_events(spark, sf_dir))
     return short(d, _ids(d), _active(d))
 
 
@@ -590,4 +596,4 @@ def archive_roundtrip(spark, sf_dir):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship_fraud(spark, sf_dir)
+    return flagship_fleet(spark, sf_dir)
