@@ -237,7 +237,7 @@ def test_formats(spark):
     d = compile(fleet_config().build(), F.lit(T0))(events(spark, [("plant", 'e"1', "boot", 0, {"build": "99"}), ("plant", "e2", "boot", 0, {})]))
     assert decisions_from_json(decision_json(d)).collect() == d.collect()
     lines = [json.loads(r["value"]) for r in audit_lines(d).collect()]
-    assert lines[0] == {"event_id": 1, "tenant_id": "bank", "entity_id": 'e"1', "final_verdict": "block", "degraded": False, "elapsed_us": 0}
+    assert lines[0] == {"event_id": 1, "tenant_id": "plant", "entity_id": 'e"1', "final_verdict": "block", "degraded": False, "elapsed_us": 0}
     assert "active_decisions" not in json.loads(decision_json(d).collect()[1]["value"])
 
 
@@ -282,6 +282,83 @@ def test_state(spark, tmp_path):
     assert StoreError("Unavailable").code == "Unavailable"
 
 
+def test_archive_broken_off(spark, tmp_path, monkeypatch):
+    """Whatever step a move to the cold tier is stopped after, nothing counts twice or is lost."""
+    for step in range(4):
+        s = Snapshot(spark, str(tmp_path / f"s{step}"))
+        s.upsert(spark.createDataFrame([("t", "A", "w", e, 10.0, 1) for e in (0, 1, 7)], WINDOW_STATE))
+        calls = []
+
+        def broken(name, of=Snapshot):
+            real = getattr(of, name)
+
+            def run(self, *a):
+                calls.append(name)
+                if len(calls) > step:
+                    raise OSError("stopped")
+                return real(self, *a)
+
+            return run
+
+        with monkeypatch.context() as m:
+            for name in ("_replace", "_drop"):
+                m.setattr(Snapshot, name, broken(name))
+            if step < 3:
+                with pytest.raises(OSError):
+                    s.archive(5)
+            else:
+                s.archive(5)
+        again = Snapshot(spark, s.path)
+        assert again.query_range("t", "A", "w", 0, 9) == 30.0
+        assert again.archive(5) == [] and again.cold().count() == 2 and again.warm().count() == 1
+
+
+def test_conditional_update(spark, tmp_path):
+    s = Snapshot(spark, str(tmp_path / "s"))
+    s.upsert(spark.createDataFrame([("t", "A", "w", e, 10.0, e + 1) for e in range(3)], WINDOW_STATE))
+    changes = spark.createDataFrame([("t", "A", "w", e, a, v) for e, a, v in ((0, 1.0, 1), (1, 2.0, 1), (2, 3.0, 3), (9, 4.0, 0), (9, 5.0, 0))], "tenant_id string, entity_id string, window_name string, epoch long, aggregate double, expected long")
+    assert sorted((r["epoch"], r["aggregate"], r["applied"]) for r in s.update(changes).collect()) == [(0, 1.0, True), (1, 2.0, False), (2, 3.0, True), (9, 4.0, True), (9, 5.0, False)]
+    assert sorted((r["epoch"], r["aggregate"], r["version"]) for r in s.warm().collect()) == [(0, 1.0, 2), (1, 10.0, 2), (2, 3.0, 4), (9, 4.0, 1)]
+
+
+def test_write_back(spark, tmp_path, monkeypatch):
+    from verdictflow.sources import WriteBack
+
+    s = Snapshot(spark, str(tmp_path / "s"))
+    store, key = WriteBack(s), ("t", "A", "w", 0)
+    assert store.get(*key) == (0.0, 0) and store.compare_and_set(key, 0, 1.0) and store.compare_and_set(key, 1, 2.0) and not store.compare_and_set(key, 0, 9.0)
+    assert s.warm().count() == 0 and store.query_range("t", "A", "w", 0, 9) == 2.0
+    assert WriteBack(s).get(*key) == (2.0, 2)  # recovery
+    store.compare_and_set(key, 2, 3.0)
+    with monkeypatch.context() as m:
+        m.setattr(Snapshot, "upsert", lambda *a: (_ for _ in ()).throw(OSError("down")))
+        with pytest.raises(OSError):
+            store.flush()
+    assert store.flush() == 1 and lookup(s.warm(), *key) == (3.0, 3)  # what failed was kept
+    store.expire(*key)
+    assert store.get(*key) == (0.0, 0) and store.compare_and_set(key, 0, 5.0) and store.flush() == 2
+    assert lookup(s.warm(), *key) == (5.0, 1)
+    store.expire(*key)
+    store.flush()
+    assert s.warm().count() == 0
+
+
+def test_cap_against_folding(spark):
+    rng = np.random.default_rng(3)
+    rows = [("ab"[int(rng.integers(2))], i, int(rng.integers(60)), 0) for i in range(120)]
+    rows = [(t, i, b, b + int(rng.integers(1, 15))) for t, i, b, _ in rows]
+    got = {r["event_id"] for r in ratelimit.cap(spark.createDataFrame(rows, "tenant_id string, event_id long, begin long, end long"), 2).filter("admitted").collect()}
+    want = set()
+    for t in "ab":
+        open_ = []
+        for _, i, b, e in sorted((x for x in rows if x[0] == t), key=lambda x: (x[2], x[1])):
+            open_ = [x for x in open_ if x > b]
+            if len(open_) < 2:
+                open_.append(e)
+                want.add(i)
+    assert got == want
+
+
 def test_cas():
     gone = []
     s = CasStore(lambda k, v: gone.append((k, v)))
@@ -328,6 +405,86 @@ def test_rate_limits(spark):
     assert out.decisions.count() == 12 and out.rejected.count() == 5
 
 
+def test_buckets_last(spark):
+    """A batch and single events take from the same bucket; a refilling one is filled by event time."""
+    from verdictflow.plans.config import RateLimit
+
+    one = lambda ms, tenant="a": {"event_id": 1, "tenant_id": tenant, "entity_id": "e", "event_type": "x", "timestamp": T0 + timedelta(milliseconds=ms), "tags": []}
+
+    def admitted(p, *at):
+        n = 0
+        for ms in at:
+            try:
+                p.evaluate_one(spark, one(ms))
+                n += 1
+            except SyncSubmitError as e:
+                assert (e.code, e.detail) == ("RateLimited", "Exhausted")
+        return n
+
+    c = config()
+    c.rate_limit = RateLimit(3, refill="none")
+    assert admitted(Pipeline(c, F.lit(T0)).start(), *range(6)) == 3
+    p = Pipeline(c, F.lit(T0)).start()
+    df = events(spark, [("a", "e", "x", i, {}) for i in range(2)] + [("b", "e", "x", i, {}) for i in range(5)])
+    assert [p.run(df).decisions.count() for _ in range(2)] == [5, 5]
+    assert p.submit(df).rejected.count() == 2 and admitted(p, 0, 1) == 1 and p.submit(df).decisions.count() == 0
+    c.rate_limit = RateLimit(2, 1000, refill="continuous")  # a token a millisecond
+    p = Pipeline(c, F.lit(T0)).start()
+    assert admitted(p, 0, 0, 0, 1, 1) == 3 and p.submit(events(spark, [("a", "e", "x", 2, {})] * 3)).decisions.count() >= 1
+    c.rate_limit = RateLimit(10, max_concurrent=0, refill="none")
+    with pytest.raises(SyncSubmitError) as e:
+        Pipeline(c, F.lit(T0)).start().evaluate_one(spark, one(0))
+    assert (e.value.code, e.value.detail) == ("RateLimited", "ConcurrencyCapReached")
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 40])
+def test_burst_against_ranks(spark, capacity):
+    rng = np.random.default_rng(capacity)
+    rows = [("ab"[int(rng.integers(2))], "e", "x", int(rng.integers(50)), {}) for _ in range(300)]
+    df = events(spark, rows)
+    got = {r["event_id"] for r in ratelimit.admit(df, capacity).filter("admitted").collect()}
+    want = {i + 1 for t in "ab" for _, i in sorted((r[3], i) for i, r in enumerate(rows) if r[0] == t)[:capacity]}
+    assert got == want
+    left = {r["tenant_id"]: r["level"] for r in ratelimit.after(df.filter("event_id <= 20"), capacity).collect()}
+    assert left == {t: 1_000_000 * max(0, capacity - sum(r[0] == t for r in rows[:20])) for t in {r[0] for r in rows[:20]}}
+
+
+@pytest.mark.parametrize("kind", ["count", "distinct"])
+def test_stream_goes_on_counting(spark, tmp_path, kind):
+    """150 events of one entity in three micro-batches and two runs: those after the hundredth are flagged, as in one batch."""
+    df = events(spark, [("t", "A", "x", i, {"v": str(i)}) for i in range(150)] + [("t", "B", "x", i, {"v": str(i)}) for i in range(50)])
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    c = config().with_evaluators(Threshold(100, 60_000, kind, value_tag="v")).with_targets(ParquetFiles(out))
+    for parts in ([(1, 70), (71, 120)], [(121, 200)]):
+        write_files(df, src, parts)
+        p = Pipeline(c, F.lit(T0)).start()
+        p.stream(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(src), str(tmp_path / "ck"))
+        p.drain(120)
+    back = spark.read.parquet(out)
+    assert back.count() == 200 and sorted(r["event_id"] for r in back.filter(F.col("final_verdict") == FLAG).collect()) == list(range(101, 151))
+
+
+def test_stream_buckets_and_repeated_batches(spark, tmp_path):
+    from verdictflow.plans.config import RateLimit
+    from verdictflow.plans.pipeline import Counters
+    from verdictflow.sources import Versions
+
+    df = events(spark, [("t", "A", "x", i, {}) for i in range(20)])
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(df, src, [(1, 8), (9, 20)])
+    c = config().with_evaluators(Threshold(2, 60_000)).with_targets(ParquetFiles(out))
+    c.rate_limit = RateLimit(10, refill="none")
+    p = Pipeline(c, F.lit(T0)).start()
+    p.stream(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(src), str(tmp_path / "ck"))
+    p.drain(120)
+    assert spark.read.parquet(out).count() == 10
+    counters = Counters(c, Versions(spark, str(tmp_path / "v")), None)
+    for batch, lo in ((0, 1), (1, 9), (1, 9)):  # the last one runs again
+        now = counters.before(batch)
+        counters.leave(now, batch, df.filter(F.col("event_id").between(lo, lo + 7)))
+    assert [r["aggregate"] for r in counters.before(2).evaluation.evaluators[0].prior.collect()] == [16.0]
+
+
 def test_percentiles(spark):
     df = spark.range(1000).select(F.lit("t").alias("t"), F.col("id").alias("v"))
     assert metrics.ranked_percentiles(df, F.col("v"), (50, 99), "t").first().asDict() == {"t": "t", "p50": 500, "p99": 990}

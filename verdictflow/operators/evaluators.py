@@ -79,7 +79,8 @@ class Threshold(Evaluator):
     aggregation: count, sum (of the number in tag `value_tag` or of the column `value_column`), distinct
     (of the same); stub counts whatever the aggregation. The window is of event time, per tenant and
     group key; events of one window are taken in the order of (timestamp, event_id). prior is a
-    snapshot of window state whose aggregates the counters go on from (for count and sum)."""
+    snapshot of window state whose aggregates the counters go on from; for distinct, seen has the values
+    (tenant_id, entity_id, window_name, epoch, value) that those aggregates have counted."""
 
     threshold: float = 100.0
     window_ms: int = 60_000
@@ -91,6 +92,7 @@ class Threshold(Evaluator):
     window_name: str = "default"
     prior: DataFrame | None = None
     stub: bool = False
+    seen: DataFrame | None = None
     id = "threshold_evaluator"
 
     def _value(self) -> Column:
@@ -119,6 +121,10 @@ class Threshold(Evaluator):
             df = df.withColumn(value, (F.col(self.value_column) if self.value_column else event_tag(F.col("tags"), self.value_tag or "")).cast("string"))
             first = F.row_number().over(W.partitionBy("tenant_id", key, epoch, value).orderBy("timestamp", "event_id")) == 1
             df = df.withColumn(f"{tag}_new", (first & F.col(value).isNotNull()).cast("int"))
+            if self.seen is not None:
+                old = self.seen.filter(F.col("window_name") == self.window_name).select(F.col("tenant_id").alias(f"{tag}_t"), F.col("entity_id").alias(f"{tag}_e"), F.col("epoch").alias(f"{tag}_p"), F.col("value").alias(f"{tag}_v"))
+                on = (F.col("tenant_id") == F.col(f"{tag}_t")) & (F.col(key) == F.col(f"{tag}_e")) & (F.col(epoch) == F.col(f"{tag}_p")) & (F.col(value) == F.col(f"{tag}_v"))
+                df = df.join(old, on, "left").withColumn(f"{tag}_new", F.when(F.col(f"{tag}_v").isNull(), F.col(f"{tag}_new")).otherwise(0)).drop(f"{tag}_t", f"{tag}_e", f"{tag}_p", f"{tag}_v")
             upto = W.partitionBy("tenant_id", key, epoch).orderBy("timestamp", "event_id").rowsBetween(W.unboundedPreceding, 0)
             df = df.withColumn(f"{tag}_n", F.sum(f"{tag}_new").over(upto).cast("double"))
         else:
@@ -134,6 +140,12 @@ class Threshold(Evaluator):
         said = F.to_json(F.struct(n.cast("long").alias("window_count"), F.lit(float(self.threshold)).alias("threshold"), F.lit(self.window_name).alias("window_name")))
         return result(self.id, F.when(over, FLAG).otherwise(PASS), F.when(over, "threshold_exceeded"), metadata=F.when(over, said))
 
+    def values(self, df: DataFrame) -> DataFrame:
+        """For distinct: the values of each window, those seen before too."""
+        value = (F.col(self.value_column) if self.value_column else event_tag(F.col("tags"), self.value_tag or "")).cast("string")
+        own = df.select("tenant_id", group_key(self.group_by, self.tag).alias("entity_id"), F.lit(self.window_name).alias("window_name"), epoch_of(F.col("timestamp"), self.window_ms).alias("epoch"), value.alias("value")).filter("value is not null")
+        return (own if self.seen is None else own.unionByName(self.seen)).distinct()
+
     def totals(self, df: DataFrame) -> DataFrame:
         """The window state that these events leave: one row a window, aggregate and version."""
         key, epoch = group_key(self.group_by, self.tag), epoch_of(F.col("timestamp"), self.window_ms)

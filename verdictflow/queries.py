@@ -16,14 +16,14 @@ from .operators import metrics, ratelimit, routing
 from .operators.evaluators import AllowDeny, ColumnEvaluator, Historical, Scorer, Threshold
 from .plans import rules as R
 from .plans.config import FailureMode, PipelineConfig, Policy
-from .plans.pipeline import compile, stage_of
+from .plans.pipeline import Pipeline, compile, stage_of
 from .plans.registry import DecisionTypes
 from .schema import BLOCK, FLAG, PASS
 from .sinks.formats import audit_lines, decision_json, decisions_from_json, stdout_lines
-from .sinks.targets import Noop
+from .sinks.targets import Noop, ParquetFiles
 from .session import scratch_dir
 from .sources.events import as_events, events_from_table, orders_as_events, with_event_ids
-from .sources.state import Snapshot, apply_changes, expire, merge_latest, range_sum
+from .sources.state import Snapshot, WriteBack, apply_changes, expire, merge_latest, range_sum
 from .streaming.reports import session_counts, sliding_counts, tumbling_counts
 from .streaming.stateful import running_counts
 
@@ -504,6 +504,19 @@ def in_flight(spark, sf_dir):
     return ratelimit.concurrency_at(events(spark, sf_dir).select("tenant_id", "event_id", us.alias("begin"), (us + 3_600_000_000).alias("end"))).select("event_id", F.col("in_flight").cast("long").alias("in_flight"))
 
 
+@register(
+    "concurrency_cap",
+    f"""WITH RECURSIVE {EV}, o AS (SELECT event_id, tenant_id, us AS b, us + 7200000000 AS f, row_number() OVER (PARTITION BY tenant_id ORDER BY us, event_id) AS n FROM e),
+r AS (SELECT tenant_id, n, event_id, true AS admitted, [f] AS ends FROM o WHERE n = 1
+  UNION ALL SELECT tenant_id, n, event_id, len(ends) < 3, CASE WHEN len(ends) < 3 THEN list_append(ends, f) ELSE ends END FROM (SELECT o.tenant_id, o.n, o.event_id, o.f, list_filter(r.ends, lambda x: x > o.b) AS ends FROM r JOIN o ON o.tenant_id = r.tenant_id AND o.n = r.n + 1) x)
+SELECT event_id, admitted FROM r""",
+)
+def concurrency_cap(spark, sf_dir):
+    """Events as calls of two hours, three of a tenant at a time."""
+    us = F.unix_micros("timestamp")
+    return ratelimit.cap(events(spark, sf_dir).select("tenant_id", "event_id", us.alias("begin"), (us + 7_200_000_000).alias("end")), 3).select("event_id", "admitted")
+
+
 # reports, state, sinks -----------------------------------------------------------------------------
 @register("verdict_report", f"WITH {EV}, r AS (SELECT tenant_id, user_id, count(*) OVER (PARTITION BY tenant_id, entity_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM e), x AS (SELECT tenant_id, CASE WHEN user_id % 7 = 0 THEN 2 WHEN n > 2 THEN 1 ELSE 0 END AS v FROM r) SELECT tenant_id, count(*) AS events, count(*) FILTER (v = 0) AS passed, count(*) FILTER (v = 1) AS flagged, count(*) FILTER (v = 2) AS blocked, CAST(0 AS BIGINT) AS degraded FROM x GROUP BY ALL")
 def verdict_report(spark, sf_dir):
@@ -585,6 +598,51 @@ def stream_threshold(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("event_id", F.when(over, "flag").otherwise("pass").alias("verdict"), F.when(over, "threshold_exceeded").alias("reason"))
 
 
+def _days(spark, sf_dir, label: str, parts: int = 3) -> tuple[DataFrame, str]:
+    """The events as a stream of several micro-batches, in the order of their days, and a folder for what it leaves."""
+    out = scratch_dir(spark, label)
+    df = events(spark, sf_dir)
+    bounds = [r[0] for r in df.select(F.explode(F.percentile("event_id", F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])))).collect()]
+    cuts = [-1, *sorted(int(b) for b in bounds), 1 << 62]
+    for lo, hi in zip(cuts, cuts[1:]):  # a file a micro-batch, whatever its windows
+        df.filter((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in"), out
+
+
+@register("stream_pipeline", f"WITH {EV}, p AS (SELECT quantile_cont(event_id, 1 / 3.0) AS a, quantile_cont(event_id, 2 / 3.0) AS b FROM e), x AS (SELECT e.*, CASE WHEN event_id <= floor(a) THEN 0 WHEN event_id <= floor(b) THEN 1 ELSE 2 END AS batch FROM e, p), r AS (SELECT event_id, count(*) OVER (PARTITION BY tenant_id, entity_id, day ORDER BY batch, ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM x) SELECT event_id, CASE WHEN n > 3 THEN 'flag' ELSE 'pass' END AS verdict, CASE WHEN n > 3 THEN 'threshold_exceeded' END AS reason FROM r")
+def stream_pipeline(spark, sf_dir):
+    """A pipeline over a stream of three micro-batches whose counters go on from one to the next."""
+    source, out = _days(spark, sf_dir, "stream_pipeline")
+    p = Pipeline(PipelineConfig("q").with_ingest(skew_ms=40 * DAY).with_evaluators(Threshold(3, DAY)).with_targets(ParquetFiles(f"{out}/decisions")), _as_of()).start()
+    p.stream(source, f"{out}/checkpoint")
+    p.drain(3600)
+    d = spark.read.parquet(f"{out}/decisions").drop("batch")
+    return short(d, reason(d, "eval"))
+
+
+@register("write_back_flush", f"WITH {EV}, {WS} SELECT tenant_id, entity_id, epoch, CASE WHEN entity_id IN ('user-1', 'user-2') THEN aggregate + 5 ELSE aggregate END AS aggregate, CASE WHEN entity_id IN ('user-1', 'user-2') THEN version + 1 ELSE version END AS version FROM ws")
+def write_back_flush(spark, sf_dir):
+    """Two entities' windows changed in the process and flushed to the snapshot."""
+    s = Snapshot(spark, scratch_dir(spark, "write_back"))
+    s.upsert(window_totals(spark, sf_dir))
+    store = WriteBack(s)
+    for r in s.warm().filter(F.col("entity_id").isin("user-1", "user-2")).collect():  # the windows of two entities
+        key = tuple(r[c] for c in ("tenant_id", "entity_id", "window_name", "epoch"))
+        total, version = store.get(*key)
+        store.compare_and_set(key, version, total + 5)
+    store.flush()
+    return s.warm().select("tenant_id", "entity_id", "epoch", "aggregate", "version")
+
+
+@register("cas_update", f"WITH {EV}, {WS} SELECT tenant_id, entity_id, epoch, CASE WHEN version = 2 THEN 77.0 ELSE aggregate END AS aggregate, CASE WHEN version = 2 THEN 3 ELSE version END AS version FROM ws")
+def cas_update(spark, sf_dir):
+    """A conditional update that expects version 2 everywhere is applied where it is so."""
+    s = Snapshot(spark, scratch_dir(spark, "cas"))
+    s.upsert(window_totals(spark, sf_dir))
+    s.update(s.warm().select("tenant_id", "entity_id", "window_name", "epoch", F.lit(77.0).alias("aggregate"), F.lit(2).cast("long").alias("expected")))
+    return s.warm().select("tenant_id", "entity_id", "epoch", "aggregate", "version")
+
+
 @register("archive_roundtrip", f"WITH {EV}, {WS} SELECT tenant_id, epoch < 19740 AS archived, sum(aggregate) AS total, count(*) AS windows FROM ws GROUP BY ALL")
 def archive_roundtrip(spark, sf_dir):
     """Window state written to the warm tier, old epochs moved to the cold one, both read back."""

@@ -24,11 +24,16 @@ def session(app: str = "verdictflow", master: str | None = None, shuffle_partiti
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, a local one where unset."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; in local mode a local one where unset."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="verdictflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="verdictflow-")
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 

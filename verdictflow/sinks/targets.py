@@ -30,18 +30,28 @@ class Stdout:
 class JsonFiles:
     path: str
     audit: bool = False
+    mode: str = "append"
 
     def __call__(self, decisions: DataFrame) -> None:
-        (audit_lines if self.audit else decision_json)(decisions).write.mode("append").text(self.path)
+        (audit_lines if self.audit else decision_json)(decisions).write.mode(self.mode).text(self.path)
+
+    def for_batch(self, batch: int) -> JsonFiles:
+        """A micro-batch's own folder, replaced when the batch runs again."""
+        return JsonFiles(f"{self.path}/batch={batch}", self.audit, "overwrite")
 
 
 @dataclass
 class ParquetFiles:
     path: str
     partition_by: tuple[str, ...] = ()
+    mode: str = "append"
 
     def __call__(self, decisions: DataFrame) -> None:
-        decisions.write.mode("append").partitionBy(*self.partition_by).parquet(self.path)
+        decisions.write.mode(self.mode).partitionBy(*self.partition_by).parquet(self.path)
+
+    def for_batch(self, batch: int) -> ParquetFiles:
+        """A micro-batch's own folder, replaced when the batch runs again."""
+        return ParquetFiles(f"{self.path}/batch={batch}", self.partition_by, "overwrite")
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import EVENT, TAGS
+from ..session import scratch_dir
 
 
 def tags_of(**values: Column) -> Column:
@@ -43,9 +44,13 @@ def orders_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_event_ids(df: DataFrame) -> DataFrame:
     """Ids from 1 in the order of (timestamp, tenant, entity), for sources without ids: a range sort, counts per
-    partition, and the partitions' bases - no single task numbers all rows."""
+    partition, and the partitions' bases - no single task numbers all rows. The numbered rows are written once, to
+    spark.checkpoint.dir, so that both uses of them see the same partitions whatever is retried."""
     part = df.drop("event_id").repartitionByRange("timestamp", "tenant_id", "entity_id").withColumn("_p", F.spark_partition_id())
     part = part.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("timestamp", "tenant_id", "entity_id")))
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "event_ids")
+    part.write.parquet(path)
+    part = spark.read.schema(part.schema).parquet(path)
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     bases = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return part.join(bases, "_p").withColumn("event_id", (F.col("_n") + F.col("_b")).cast("long")).select(*[f.name for f in EVENT.fields])
