@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on ordinary documents and one on toxic
-ones: each holds the words that are typical of its class, the toxic one over the common language.
-Every window of a text is compressed with both; how much shorter the toxic dictionary makes it, over
-calibrated thresholds, gives a document's features, and a logistic model turns them into a score.
+Separate zstandard dictionaries are made from labelled text, one of ordinary documents and two of toxic
+ones: each holds the words that are typical of its class, the toxic ones over the common language, of which
+one asks for more evidence of a word than the other. Every window of a text is compressed with all; how much
+shorter a toxic dictionary makes it, over thresholds, gives a document's features, and a logistic model,
+calibrated on text that the dictionaries have not seen, turns them into a score.
 
 Training reads a bounded sample of labelled documents (TRAIN_DOCS of each class, of at most
 TRAIN_CHARS characters), never a document of the held-out fold; scoring reads every whole text.
@@ -28,55 +29,32 @@ from .common import arrow_map, table, texts_of
 #: Bounds of the training sample: documents of each class (toxic, ordinary), characters of one.
 TRAIN_DOCS = (3000, 9000)
 TRAIN_CHARS = 20_000
-#: Words of a window, bytes of the substrings that tell classes apart, bytes of each dictionary.
-WINDOW, GRAM = 6, 5
+#: Words of a window, bytes of each dictionary.
+WINDOW = 6
 DICT_BYTES = 24_576
-#: A substring is typical of toxic text if so many toxic documents have it and its share among them
-#: is so many times its share among ordinary ones.
-GRAM_DOCS, GRAM_LIFT = 5, 15.0
+#: A word is typical of toxic text if so many toxic documents have it and its share among them is so many times
+#: its share among ordinary ones: strictly for one toxic dictionary, loosely for another.
+TIERS = ((5, 13.0), (3, 6.0))
+#: Parts of the training sample, each scored by dictionaries of the others.
+FOLDS = 4
 #: Bytes by which the toxic dictionary must win for a window to count, in steps.
 GAINS = (2, 4, 6)
 THRESHOLD, HELD_OUT = 0.3, 2
 LEVEL = 4
 
 
-def _grams(data: bytes) -> np.ndarray:
-    """The substring of GRAM bytes at each position, as one number."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        out = (out << np.uint64(8)) | b[i : i + n]
-    return out
+def _typical(toxic: list[bytes], ordinary: list[bytes], docs: int, lift: float) -> set[bytes]:
+    """Words typical of toxic documents: in `docs` of them at least, and in a share of them that is `lift` times their
+    share of the ordinary ones. A stem may be common to both classes and its forms not, so words are counted whole."""
+    found, other = Counter(w for t in toxic for w in set(_words(t))), Counter()
+    found = {w: n for w, n in found.items() if n >= docs and len(w) > 2}
+    for t in ordinary:
+        other.update(set(_words(t)) & found.keys())
+    return {w for w, n in found.items() if n / max(1, len(toxic)) > lift * (other[w] + 0.5) / max(1, len(ordinary))}
 
 
-def _typical(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Sorted substrings typical of toxic documents. Only those that enough toxic ones have are
-    counted in ordinary ones."""
-    found, n = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
-    found, n = found[n >= GRAM_DOCS], n[n >= GRAM_DOCS]
-    other = np.zeros(len(found), np.int64)
-    for t in ordinary:
-        g = np.unique(_grams(t))
-        at = np.searchsorted(found, g)
-        at = at[at < len(found)] if not len(g) else at
-        ok = (at < len(found)) & (found[np.minimum(at, max(len(found) - 1, 0))] == g) if len(found) else np.zeros(len(g), bool)
-        other[at[ok]] += 1
-    return found[n / max(1, len(toxic)) > GRAM_LIFT * (other + 0.5) / max(1, len(ordinary))]
-
-
-def _typical_words(data: bytes, grams: np.ndarray) -> set[bytes]:
-    """The words of data that typical substrings cover at least by half, blanks around them counted."""
-    out = set()
-    if len(grams):
-        for w in set(data.split()):
-            w = w.strip(_EDGE)
-            g = _grams(b" " + w + b" ")
-            if len(g) and 2 * (grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g).sum() >= len(g):
-                out.add(w)
-    return out
+def _words(data: bytes) -> list[bytes]:
+    return [w.strip(_EDGE) for w in data.split()]
 
 
 def _content(words: Counter, size: int, least: int = 2) -> bytes:
@@ -119,12 +97,12 @@ def _bytes(text: str) -> bytes:
 @dataclass
 class Model:
     ordinary: bytes = b""  # dictionary contents
-    toxic: bytes = b""
+    toxic: list[bytes] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     bias: float = -50.0
 
     def gains(self):
-        """A function from a text's bytes to the bytes that the toxic dictionary saves per window."""
+        """A function from a text's bytes to the bytes that each toxic dictionary saves per window, a row a dictionary."""
         import zstandard as zs
 
         def coder(content: bytes):
@@ -134,8 +112,14 @@ class Model:
             own.precompute_compress(level=LEVEL)
             return zs.ZstdCompressor(dict_data=own, level=LEVEL, write_content_size=False, write_checksum=False).compress
 
-        a, b = coder(self.ordinary), coder(self.toxic)
-        return lambda data: np.array([len(a(w)) - len(b(w)) for w in windows(data)], np.int64)
+        a, *own = map(coder, (self.ordinary, *self.toxic))
+
+        def run(data: bytes) -> np.ndarray:
+            parts = windows(data)
+            least = np.array([len(a(w)) for w in parts], np.int64)
+            return np.array([least - [len(c(w)) for w in parts] for c in own], np.int64).reshape(len(own), len(parts))
+
+        return run
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.weights:
@@ -143,14 +127,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.bias, -500, 500)))
 
 
-def features(gain: np.ndarray) -> list[float]:
-    """Windows over each threshold, as logarithms and as shares, and the three best windows."""
-    n = len(gain)
-    if not n:
-        return [0.0] * (2 * len(GAINS) + 1)
-    over = [int((gain >= g).sum()) for g in GAINS]
-    best = np.sort(gain)[-3:].clip(0)
-    return [*(np.log1p(x) for x in over), *(min(1.0, 10 * x / n) for x in over), float(best.sum()) / 10]
+def features(gains: np.ndarray) -> list[float]:
+    """Of each dictionary: windows over each threshold, as logarithms and as shares, the three best windows, and what
+    the windows over the first threshold gain, over all windows; then the text's length."""
+    n, out = gains.shape[1], []
+    for gain in gains:
+        over = [int((gain >= g).sum()) for g in GAINS]
+        best = np.sort(gain)[-3:].clip(0)
+        out += [*(np.log1p(x) for x in over), *(min(1.0, 10 * x / max(1, n)) for x in over), float(best.sum()) / 10, min(5.0, float(gain[gain >= GAINS[0]].sum()) / max(1, n))]
+    return [*out, float(np.log1p(n))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[list[float], float]:
@@ -171,23 +156,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """A model from texts of both classes; share: of toxic documents in the population.
 
-    Dictionaries come from one half of the texts and the weights from the other, whose windows the
-    dictionaries have not seen; the dictionaries are then trained on all."""
+    The weights come from each fold's features by dictionaries of the other folds, which have not seen its windows;
+    the dictionaries are then made from all."""
     t, o = distinct([_bytes(x) for x in toxic]), distinct([_bytes(x) for x in ordinary])
     if not t or not o:
         return Model()
 
-    def dictionaries(t: list[bytes], o: list[bytes]) -> Model:
-        grams = _typical(t, o)
-        own = _content(Counter(w for x in t for w in _typical_words(x, grams)), DICT_BYTES // 2)
+    def dictionaries(t: list[bytes], o: list[bytes], part: float = 1) -> Model:
+        """From a part of the sample, in which a word has fewer documents."""
         common = _content(Counter(w for x in o for w in x.split()), DICT_BYTES // 2)
-        return Model(ordinary=common, toxic=common + own)
+        own = []
+        for docs, lift in TIERS:
+            typical = _typical(t, o, int(np.ceil(docs * part)), lift)
+            own.append(common + _content(Counter(w for x in t for w in _words(x) if w in typical), DICT_BYTES // 2))
+        return Model(ordinary=common, toxic=own)
 
-    halves = [(dictionaries(t[i::2], o[i::2]), t[1 - i :: 2], o[1 - i :: 2]) for i in (0, 1)]
+    rest = lambda x, i: [d for k, d in enumerate(x) if k % FOLDS != i]
     x, y = [], []
-    for model, tt, oo in halves:
-        gains = model.gains()
-        for texts, label in ((tt, 1.0), (oo, 0.0)):
+    for i in range(FOLDS):
+        gains = dictionaries(rest(t, i), rest(o, i), (FOLDS - 1) / FOLDS).gains()
+        for texts, label in ((t[i::FOLDS], 1.0), (o[i::FOLDS], 0.0)):
             x += [features(gains(d)) for d in texts]
             y += [label] * len(texts)
     x, y = np.array(x), np.array(y)
@@ -225,10 +213,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         gains = model.gains()
 
         def step(batch):
-            found = [features(gains(_bytes(t))) for t in texts_of(batch)]
-            x = np.array(found)
-            s = model.score(x)
-            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32), "n_toxic_windows": np.rint(np.expm1(x[:, 1])).astype(np.int64)}
+            found = [gains(_bytes(t)) for t in texts_of(batch)]
+            s = model.score(np.array([features(g) for g in found]))
+            counted = [int((g[:1] >= GAINS[1]).sum()) for g in found]
+            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32), "n_toxic_windows": counted}
 
         return step
 
