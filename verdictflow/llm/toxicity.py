@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Separate zstandard dictionaries are made from labelled text, one of ordinary documents and two of toxic
-ones: each holds the words that are typical of its class, the toxic ones over the common language, of which
-one asks for more evidence of a word than the other. Every window of a text is compressed with all; how much
+ones: each holds the words that are typical of its class, the toxic ones over the common language: words of
+typical stems and typical whole words. Every window of a text is compressed with all; how much
 shorter a toxic dictionary makes it, over thresholds, gives a document's features, and a logistic model,
 calibrated on text that the dictionaries have not seen, turns them into a score.
 
@@ -32,25 +32,66 @@ TRAIN_CHARS = 20_000
 #: Words of a window, bytes of each dictionary.
 WINDOW = 6
 DICT_BYTES = 24_576
-#: A word is typical of toxic text if so many toxic documents have it and its share among them is so many times
-#: its share among ordinary ones: strictly for one toxic dictionary, loosely for another.
-TIERS = ((5, 13.0), (3, 6.0))
+#: A substring of GRAM bytes is typical of toxic text if GRAM_DOCS toxic documents have it and its share among them
+#: is GRAM_LIFT times its share among ordinary ones; a word, if one in WORD_DOCS of the toxic ones has it and its lift
+#: is WORD_LIFT.
+GRAM, GRAM_DOCS, GRAM_LIFT = 5, 5, 15.0
+WORD_DOCS, WORD_LIFT = 60, 13.0
 #: Parts of the training sample, each scored by dictionaries of the others.
-FOLDS = 4
+FOLDS = 6
 #: Bytes by which the toxic dictionary must win for a window to count, in steps.
 GAINS = (2, 4, 6)
 THRESHOLD, HELD_OUT = 0.3, 2
 LEVEL = 4
 
 
-def _typical(toxic: list[bytes], ordinary: list[bytes], docs: int, lift: float) -> set[bytes]:
-    """Words typical of toxic documents: in `docs` of them at least, and in a share of them that is `lift` times their
-    share of the ordinary ones. A stem may be common to both classes and its forms not, so words are counted whole."""
+def _grams(data: bytes) -> np.ndarray:
+    """The substring of GRAM bytes at each position, as one number."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = len(b) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = (out << np.uint64(8)) | b[i : i + n]
+    return out
+
+
+def _typical_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Sorted substrings typical of toxic documents. Only those that enough toxic ones have are
+    counted in ordinary ones."""
+    found, n = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
+    found, n = found[n >= GRAM_DOCS], n[n >= GRAM_DOCS]
+    other = np.zeros(len(found), np.int64)
+    for t in ordinary:
+        g = np.unique(_grams(t))
+        at = np.searchsorted(found, g)
+        at = at[at < len(found)] if not len(g) else at
+        ok = (at < len(found)) & (found[np.minimum(at, max(len(found) - 1, 0))] == g) if len(found) else np.zeros(len(g), bool)
+        other[at[ok]] += 1
+    return found[n / max(1, len(toxic)) > GRAM_LIFT * (other + 0.5) / max(1, len(ordinary))]
+
+
+def _stemmed(data: bytes, grams: np.ndarray) -> set[bytes]:
+    """The words of data that typical substrings cover at least by half, blanks around them counted."""
+    out = set()
+    if len(grams):
+        for w in set(data.split()):
+            w = w.strip(_EDGE)
+            g = _grams(b" " + w + b" ")
+            if len(g) and 2 * (grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g).sum() >= len(g):
+                out.add(w)
+    return out
+
+
+def _typical_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Whole words typical of toxic documents: where a stem is common to both classes, some of its forms are not."""
+    least = max(2, -(-len(toxic) // WORD_DOCS))
     found, other = Counter(w for t in toxic for w in set(_words(t))), Counter()
-    found = {w: n for w, n in found.items() if n >= docs and len(w) > 2}
+    found = {w: n for w, n in found.items() if n >= least and len(w) > 2}
     for t in ordinary:
         other.update(set(_words(t)) & found.keys())
-    return {w for w, n in found.items() if n / max(1, len(toxic)) > lift * (other[w] + 0.5) / max(1, len(ordinary))}
+    return {w for w, n in found.items() if n / max(1, len(toxic)) > WORD_LIFT * (other[w] + 0.5) / max(1, len(ordinary))}
 
 
 def _words(data: bytes) -> list[bytes]:
@@ -162,19 +203,17 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if not t or not o:
         return Model()
 
-    def dictionaries(t: list[bytes], o: list[bytes], part: float = 1) -> Model:
-        """From a part of the sample, in which a word has fewer documents."""
+    def dictionaries(t: list[bytes], o: list[bytes]) -> Model:
         common = _content(Counter(w for x in o for w in x.split()), DICT_BYTES // 2)
-        own = []
-        for docs, lift in TIERS:
-            typical = _typical(t, o, int(np.ceil(docs * part)), lift)
-            own.append(common + _content(Counter(w for x in t for w in _words(x) if w in typical), DICT_BYTES // 2))
-        return Model(ordinary=common, toxic=own)
+        grams, typical = _typical_grams(t, o), _typical_words(t, o)
+        stems = _content(Counter(w for x in t for w in _stemmed(x, grams)), DICT_BYTES // 2)
+        words = _content(Counter(w for x in t for w in _words(x) if w in typical), DICT_BYTES // 2)
+        return Model(ordinary=common, toxic=[common + stems, common + words])
 
     rest = lambda x, i: [d for k, d in enumerate(x) if k % FOLDS != i]
     x, y = [], []
     for i in range(FOLDS):
-        gains = dictionaries(rest(t, i), rest(o, i), (FOLDS - 1) / FOLDS).gains()
+        gains = dictionaries(rest(t, i), rest(o, i)).gains()
         for texts, label in ((t[i::FOLDS], 1.0), (o[i::FOLDS], 0.0)):
             x += [features(gains(d)) for d in texts]
             y += [label] * len(texts)
