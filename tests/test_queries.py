@@ -28,6 +28,15 @@ def test_query(spark, sf_dir, con, name):
     assert Counter(map(repr, map(tuple, df.select(*names).collect()))) == Counter(map(repr, found.fetchall()))
 
 
+def test_verdict_report_of_many_users(spark, tmp_path, sf_dir):
+    """Copies of the events with shifted keys: the deny list goes on with the users."""
+    c = duckdb.connect()
+    c.execute(f"create view events as select event_id + 1000000 * i as event_id, user_id + 1500 * i as user_id, * exclude (event_id, user_id) from '{sf_dir}/events.parquet', range(6) t(i)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet'")
+    df = queries.verdict_report(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(queries.ORACLES["verdict_report"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
