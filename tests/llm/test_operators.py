@@ -4,12 +4,16 @@ clashing extra columns and an empty table."""
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -462,6 +466,36 @@ def test_failed_pieces_meet_settled_ones(spark, monkeypatch, group):
     assert found >= 58, found
 
 
+def test_frequent_shingles_are_chosen_apart(tmp_path):
+    """The driver gets about FREQUENT shingles, not as many from each task, and they are the most frequent ones."""
+    rows = [(int(x), n) for n, k in ((5, 100), (9, 30_000), (300, 400), (4000, 50)) for x in np.random.default_rng(n).integers(-(2**63), 2**63 - 1, k)]
+    pq.write_table(pa.table({"shingle": [r[0] for r in rows], "count": [r[1] for r in rows]}), tmp_path / "counts.parquet")
+    code = f"""
+import numpy as np
+from pyspark.sql import SparkSession
+from verdictflow.llm import passages
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "1m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "20").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
+passages.FREQUENT = 2000
+texts = spark.range(180).selectExpr("id as row", "id % 20 as seed")
+def words(batches):
+    import pyarrow as pa
+    for b in batches:
+        w = [np.random.default_rng(s).integers(0, 2**32, 1500, dtype=np.uint32).tobytes() for s in b.column("seed").to_pylist()]
+        r = [[dict(first=0, last=1495, failed=True)]] * len(w)
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(w), pa.array(r, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("failed", pa.bool_())])))], names=["row", "words", "ranges"])
+left = texts.mapInArrow(words, "row long, words binary, ranges array<struct<first long, last long, failed boolean>>")
+assert passages._rare(left).count() > 0
+passages.FREQUENT = 1000
+got = passages._often(spark.read.parquet({str(tmp_path / "counts.parquet")!r}))
+np.save({str(tmp_path / "got.npy")!r}, got)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+    got, count = np.load(tmp_path / "got.npy").tolist(), dict(rows)
+    kinds = [count[x] for x in got]
+    assert kinds == sorted(kinds) and kinds[-450:] == [300] * 400 + [4000] * 50 and set(kinds) == {9, 300, 4000} and 900 < len(got) < 1100
+
+
 def test_compare():
     a, b = ["x"] * 60, [f"w{i}" for i in range(60)]
     assert passages.compare(b, b) == [(0, 60, 0, 60, 1.0)] and passages.compare(a[:40], b) == [] == passages.compare(b, list(reversed(b)))
